@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("p1_overlap", "p2_defects", "p3_terms", "p5_setjoin", "p6_neighbours", "p7_encode", "p8_leaks", "p9_levels")
+MODULES = ("p1_overlap", "p2_defects", "p3_terms", "p4_subset", "p5_setjoin", "p6_neighbours", "p7_encode", "p8_leaks", "p9_levels")
 
 
 def _all(name: str) -> dict:
