@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ()
-FLAGSHIP = "knn_merge"
+MODULES: tuple[str, ...] = ("operators.rules",)
+FLAGSHIP = "rule_composition"
 
 
 def _all(name: str) -> dict:
