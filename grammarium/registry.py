@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("operators.rules",)
+MODULES: tuple[str, ...] = ("operators.rules", "operators.corpus", "operators.scoring", "operators.retrieval", "operators.sampling", "operators.dataflow")
 FLAGSHIP = "rule_composition"
 
 
