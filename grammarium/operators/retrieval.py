@@ -123,7 +123,7 @@ n AS (SELECT *, (row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, nei
 )
 MERGE_SQL = """, m AS (SELECT test_id, name, alt, min(row(rank, rule_pos, alt_pos)) AS place, count(DISTINCT rank) AS h FROM n JOIN alts ON id = example_id GROUP BY ALL),
 k AS (SELECT test_id, count(*) AS k FROM n GROUP BY test_id),
-l AS (SELECT test_id, name, min(place) AS lp, name || ' ::= ' || string_agg(alt, ' | ' ORDER BY place) AS line FROM m JOIN k USING (test_id) WHERE {} GROUP BY ALL)
+l AS (SELECT test_id, name, min(place) AS lp, name || ' ::= ' || string_agg(alt, ' | ' ORDER BY place) AS line FROM m JOIN k USING (test_id) WHERE {} GROUP BY test_id, name)
 SELECT test_id, string_agg(line, E'\\n' ORDER BY lp) AS grammar FROM l GROUP BY test_id"""
 QUERIES = {f.__name__: f for f in (knn_neighbours, knn_union, knn_intersection, rule_recovery, prompt_messages)}
 ORACLES = {
