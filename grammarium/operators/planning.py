@@ -1,7 +1,7 @@
 """Plans for the blocks world: valid prefixes of given plans, and seeded greedy best-first search.
 
 A step that can't be applied ends the prefix. A null or unreadable problem gives a row
-of nulls; a null plan has no steps. Search stops after NODES expanded states.
+of nulls; a null plan has no steps. Search stops after NODES expanded states, the reference's limit.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..common import spread
 from .rules import examples
 
-NODES = 2_000
+NODES = 100_000
 FACT = re.compile(r"\(([^()]+)\)")
 
 State = frozenset[tuple[str, ...]]

@@ -17,6 +17,14 @@ def test_search_and_prefix():
     assert P.problem("nothing") is None and P.steps_of(None) == []
 
 
+def test_search_goes_on_to_the_limit_of_the_reference():
+    start = P.facts("(clear b4) (clear b5) (clear b6) (clear b7) (handempty) (on b0 b2) (on b2 b1) (on b5 b0) (on b7 b3) (ontable b1) (ontable b3) (ontable b4) (ontable b6)")
+    goal = P.facts("(on b0 b1) (on b1 b7) (on b7 b2)")
+    assert P.search(start, goal, limit=2_000)[:2] == (False, 2_000)
+    solved, expanded, _ = P.search(start, goal)
+    assert solved and 2_000 < expanded < 100_000 == P.NODES
+
+
 def test_plan_evaluation(spark, tmp_path):
     rows = [(1, "blocksworld", TASK, "(unstack a b)\n(put-down a)\n(pick-up b)\n(stack b c)"), (2, "blocksworld", None, None), (3, "blocksworld", TASK, None)]
     spark.createDataFrame(rows, "example_id bigint, domain string, problem_pddl string, program string").write.parquet(str(tmp_path / "examples.parquet"))
