@@ -5,9 +5,8 @@ nearest chosen one. Rows with equal texts form one class whose weight grows with
 the logarithm of its size, so that copies hardly count. Partitions of PART classes
 nominate candidates, SURPLUS times their part of the subset, by lazy greedy; each
 candidate takes over the weight of the classes nearest to it. A final greedy pass
-over the candidates picks the subset. Where there are more than FINAL candidates,
-the final pass is cut into shards of candidates that lie close on one projection
-(so likes meet in one shard), each of which picks its part.
+over all candidates picks the subset, at every size, in one task; of their matrix of
+similarities at most HELD bytes are in memory, other rows are computed when needed.
 
 The subset holds share * (rows) rows, rounded up, but each distinct text at most
 once, so it is smaller where there are fewer. Null texts count as empty ones; rows
@@ -28,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ..common import checkpointed, grammar_alternatives, spread, table, unique, words
 
-SHARE, PART, SURPLUS, FINAL = 0.01, 1_500, 3, 3_000
+SHARE, PART, SURPLUS = 0.01, 1_500, 3
+#: Bytes of similarities that a greedy pass keeps, and rows that it computes at a time.
+HELD, ROWS = 256 << 20, 32
 DIM = 96
 
 
@@ -52,25 +53,53 @@ def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"class": b["class"], "id": b["id"], "weight": b["weight"], "raw": raw})
 
 
-def lazy_greedy(x: np.ndarray, weight: np.ndarray, k: int) -> tuple[list[int], np.ndarray]:
+class Similarities:
+    """Rows of the matrix of similarities of x, none below 0; the latest used ones are kept, as many as fit into `held` bytes."""
+
+    def __init__(self, x: np.ndarray, held: int):
+        self.x, self.room = x, max(ROWS, held // (4 * max(1, len(x))))
+        self.kept: dict[int, np.ndarray] = {}
+
+    def gains(self, weight: np.ndarray) -> np.ndarray:
+        """First gain of each row."""
+        if len(self.x) <= self.room:
+            s = np.maximum(self.x @ self.x.T, 0)
+            self.kept = dict(enumerate(s))
+            return weight @ s
+        return np.concatenate([weight @ np.maximum(self.x @ self.x[i : i + ROWS].T, 0) for i in range(0, len(self.x), ROWS)])
+
+    def row(self, i: int, soon: list[int]) -> np.ndarray:
+        """Row i; if it has to be computed, those that are needed soon are computed with it."""
+        if i not in self.kept:
+            new = [j for j in soon[: ROWS - 1] if j not in self.kept] + [i]
+            for j in list(self.kept)[: max(0, len(self.kept) + len(new) - self.room)]:
+                del self.kept[j]
+            self.kept |= zip(new, map(np.copy, np.maximum(self.x[new] @ self.x.T, 0)))
+        self.kept[i] = self.kept.pop(i)
+        return self.kept[i]
+
+
+def lazy_greedy(x: np.ndarray, weight: np.ndarray, k: int, held: int = HELD) -> tuple[list[int], np.ndarray]:
     """Places of the k chosen rows of x in their order, and the place of the chosen row nearest to each row."""
-    s = np.maximum(x @ x.T, 0)
+    s = Similarities(x, held)
     best, nearest = np.zeros(len(x), np.float32), np.zeros(len(x), int)
-    heap = [(-float(g), i) for i, g in enumerate(weight @ s)]
+    heap = [(-float(g), i) for i, g in enumerate(s.gains(weight))]
     heapq.heapify(heap)
     chosen: list[int] = []
     fresh: dict[int, int] = {}
     while heap and len(chosen) < k:
         gain, i = heapq.heappop(heap)
+        row = s.row(i, [j for _, j in heap[: ROWS - 1]])
         if fresh.get(i, 0) < len(chosen):  # gains only fall, so a renewed one that still leads is the largest
             fresh[i] = len(chosen)
-            heapq.heappush(heap, (-float(weight @ np.maximum(s[i] - best, 0)), i))
+            heapq.heappush(heap, (-float(weight @ np.maximum(row - best, 0)), i))
             continue
-        closer = s[i] > best
+        closer = row > best
         closer[i] = True
         nearest[closer] = i
-        best = np.maximum(best, s[i])
+        best = np.maximum(best, row)
         chosen.append(i)
+        del s.kept[i]
     return chosen, nearest
 
 
@@ -100,34 +129,13 @@ def subset(rows: DataFrame, size: int) -> DataFrame:
         return pd.DataFrame({"id": part["id"].to_numpy()[chosen], "weight": held[chosen], "raw": part["raw"].to_numpy()[chosen]})
 
     candidates = checkpointed(ready.withColumn("part", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(parts))).groupBy("part").applyInPandas(nominate, "id bigint, weight double, raw binary"))
-    count = candidates.count()
-    shards = ceil(count / FINAL)
-
-    def line(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = np.random.default_rng(5).normal(size=2 * DIM).astype(np.float32)
-        for b in batches:
-            yield b.assign(line=(unpack(b["raw"]) @ at).astype(float) if len(b) else [])
-
-    placed = candidates.mapInPandas(line, "id bigint, weight double, raw binary, line double")
-    if shards > 1:
-        cuts = placed.approxQuantile("line", [i / shards for i in range(1, shards)], 0.002)
-        placed = placed.withColumn("shard", sum((F.col("line") > c).cast("int") for c in cuts))
-    else:
-        placed = placed.withColumn("shard", F.lit(0))
-    placed = checkpointed(placed)
-    sizes = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}  # a row for each shard
-    goal = min(size, count)
-    exact = {k: goal * v / count for k, v in sizes.items()}
-    quota = {k: int(v) for k, v in exact.items()}
-    for k in sorted(exact, key=lambda k: (quota[k] - exact[k], k))[: goal - sum(quota.values())]:
-        quota[k] += 1
-
-    def choose(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("id")
-        chosen, _ = lazy_greedy(unpack(shard["raw"]), shard["weight"].to_numpy().astype(np.float32), quota[key[0]])
-        return pd.DataFrame({"example_id": shard["id"].to_numpy()[chosen], "gain_rank": np.arange(1, len(chosen) + 1, dtype=np.int32)})
-
-    return placed.groupBy("shard").applyInPandas(choose, "example_id bigint, gain_rank int")
+
+    def choose(every: pd.DataFrame) -> pd.DataFrame:
+        every = every.sort_values("id")
+        chosen, _ = lazy_greedy(unpack(every["raw"]), every["weight"].to_numpy().astype(np.float32), size)
+        return pd.DataFrame({"example_id": every["id"].to_numpy()[chosen], "gain_rank": np.arange(1, len(chosen) + 1, dtype=np.int32)})
+
+    return candidates.groupBy().applyInPandas(choose, "example_id bigint, gain_rank int")
 
 
 def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,16 @@ def test_p4_greedy():
         chosen.append(int(np.argmax([np.maximum(s[i], best).sum() for i in range(40)])))
         best = np.maximum(best, s[chosen[-1]])
     assert p4_subset.lazy_greedy(x, w, 6)[0] == chosen
+    assert p4_subset.lazy_greedy(x, w, 6, held=0)[0] == chosen
+
+
+def test_p4_one_final_pass(spark):
+    """Above 3 000 candidates too, gains are compared among all: one order of ranks, and each group of likes is met once before any is met twice."""
+    rows = [(i, f"group{i // 3} alpha{i // 3} beta{i // 3} gamma{i // 3} delta{i // 3} epsilon{i // 3} item{i}", f"r{i // 3} ::= s{i // 3} | t{i // 3}") for i in range(3_300)]
+    df = spark.createDataFrame(rows, "example_id bigint, query string, minimal_grammar string")
+    got = p4_subset.subset(df, 1_100).collect()
+    assert sorted(r.gain_rank for r in got) == list(range(1, 1_101))
+    assert len({r.example_id // 3 for r in got}) == 1_100
 
 
 def test_p5_random_sets(spark):
