@@ -214,3 +214,13 @@ def test_core_stands_alone():
 
     root = pathlib.Path(llm.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"^\s*(from|import) .*\bllm\b", p.read_text(), re.M)]
+
+
+def test_p6_ties_of_scaled_copies(spark):
+    """More vectors of one direction than a query keeps: the smaller ids come out."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=64)
+    rows = [(int(i), (one * f).tolist()) for i, f in zip(rng.permutation(300), rng.uniform(0.5, 9, 300))]
+    got = p6_neighbours.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    want = {(i, j) for i in range(300) for j in [j for j in range(11) if j != i][:10]}
+    assert {(r.vec_id, r.neighbour_id) for r in got} == want
