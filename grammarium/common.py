@@ -7,9 +7,10 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side may be broadcast; beyond it the join is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 #: White space that the grammar format drops around names and alternatives.
 BLANKS = " \t\r"
@@ -59,20 +60,40 @@ def grammar_alternatives(grammar: Column) -> Column:
     return F.flatten(F.transform(grammar_lines(grammar), lambda r: F.transform(alts(r["rhs"]), lambda a: F.struct(r["name"].alias("name"), a.alias("alt")))))
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks `df` for broadcast if it is counted to at most `limit` rows, else leaves the join to be shuffled."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def weight(df: DataFrame) -> Column:
+    """Bytes of a row: those of texts, 8 for each number, and the same for the elements of arrays."""
+
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda n, x: n + of(x, kind.elementType)), F.lit(0).cast("bigint"))
+        if isinstance(kind, T.StructType):
+            return sum((of(value[f.name], f.dataType) for f in kind), F.lit(8).cast("bigint"))
+        return F.lit(8).cast("bigint")
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8).cast("bigint"))
+
+
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks `df` for broadcast if it weighs at most `limit` bytes, else leaves the join to be shuffled."""
+    held = df.agg(F.sum(weight(df))).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """Reliable checkpoint in the session's spark.checkpoint.dir. Where none is set, a local session takes a temporary folder; a cluster's executors share none, so there it is an error."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "grammarium-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "grammarium-checkpoints")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
-    """Spreads rows over all cores ahead of costly work per row."""
-    n = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(n, *keys)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads rows evenly ahead of costly work per row. The number of partitions follows the bytes: small ones are joined, but not below the number of cores, and large ones are split."""
+    return df.hint("rebalance", *keys)
