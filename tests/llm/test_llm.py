@@ -80,18 +80,69 @@ JUDGED = [
 ]
 
 
+SPOKEN = [("en", "here is the program for the list of all cities"), ("en", "show me the values that are matched"), ("de", "so lautet die antwort für das programm"), ("de", "damit sind alle namen erfasst und die regeln bleiben")] * 4
+
+
+def speech(pairs):
+    sizes, counts = {}, {}
+    for lang, text in pairs:
+        sizes[lang] = sizes.get(lang, 0) + 1
+        counts.setdefault(lang, np.zeros(p2_defects.PLACES))[[p2_defects.Speech.place(w) for w in set(text.split())]] += 1
+    return p2_defects.Speech((sizes, counts))
+
+
 @pytest.mark.parametrize("case", JUDGED, ids=range(len(JUDGED)))
 def test_p2_judge(case):
     field, query, text, want = case
-    assert p2_defects.judge(field, query, text)[0] == want
+    assert p2_defects.judge(field, query, text, speech(SPOKEN).other)[0] == want
+
+
+def test_p2_languages(spark):
+    """The same profiles from Spark; queries teach words that no document has; without documents nothing is told."""
+    kinds = "text string, lang string"
+    docs = spark.createDataFrame([(t, lang) for lang, t in SPOKEN * 8] + [(None, "en"), ("x", None)], kinds)
+    queries = spark.createDataFrame([("show me the list of rivers past zla",)] * 3 + [(f"show me the list of rivers past kru{i}",) for i in range(6)] + [(None,)], "text string")
+    told = p2_defects.languages(docs, queries)
+    assert told.names == ["de", "en"] and told.other("rivers past bri", "so lautet die antwort") and not told.other("rivers past bri", "here is the list")
+    assert not p2_defects.languages(docs.limit(0), queries).other("rivers past bri", "so lautet die antwort")
+
+
+def test_p2_clusters(spark):
+    """Components of openings against brute force: links lose none, and chains are followed to their end."""
+    rng = np.random.default_rng(5)
+    base = [[f"w{rng.integers(900)}" for _ in range(30)] for _ in range(25)]
+    texts = set()
+    for b in base:
+        for _ in range(12):
+            b = [*b, f"w{rng.integers(900)}"][1:]  # drifts by a word each time
+            texts.add(" ".join(b))
+    texts |= {"a b", "c", ""}
+    names = sorted(texts)
+    sets = [p2_defects.shingles(t) for t in names]
+    top = list(range(len(names)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(len(names)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    want = {(names[i], names[root(i)]) for i in range(len(names))}
+    got = {(r.opening, r.head) for r in p2_defects.clusters(spark.createDataFrame([(t,) for t in names], "opening string")).collect()}
+    assert len(got) == len(names) and len(got & want) >= 0.98 * len(want)
 
 
 def test_p2_refusals(spark):
-    """A phrase that declines, and one that only recurs over prompts."""
+    """A template that recurs over prompts, and an answer without a program that nothing is known of."""
     rows = [(i, "cot", f"list all cities near zla{i}", "Nada hoy por aquí, vuelva usted mañana con otra cosa distinta si quiere", "answer(all)", "The value a is matched as a plain string.") for i in range(8)]
     rows += [(100, "cot", "list all rivers", "I'm sorry, but I can't help with this task.", "answer(all)", "x")]
     df = spark.createDataFrame(rows, "pred_id bigint, mode string, query string, prediction string, gold string, grammar_cot string")
-    got = {(r.pred_id, r.defect) for r in p2_defects.defects(df).filter("field = 'prediction'").collect()}
+    texts = spark.createDataFrame([], "text string, lang string")
+    got = {(r.pred_id, r.defect) for r in p2_defects.defects(df, texts).filter("field = 'prediction'").collect()}
     assert got == {(i, "refusal") for i in (*range(8), 100)}
 
 
