@@ -202,7 +202,7 @@ def test_p5_random_sets(spark):
 
 def test_p6_recall(spark, monkeypatch):
     """Many lists, groups and splits: at least 0.95 of the exact neighbours; a hot vector is expanded whole."""
-    for name, v in (("LIST", 40), ("GROUP", 500), ("GROUP_QUERIES", 300)):
+    for name, v in (("LIST", 40), ("GROUP", 500), ("GROUP_QUERIES", 300), ("SAMPLE", 1_200)):
         monkeypatch.setattr(p6_neighbours, name, v)
     rng = np.random.default_rng(1)
     heads = rng.normal(size=(30, 64))
