@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("operators.rules", "operators.corpus", "operators.scoring", "operators.retrieval", "operators.sampling", "operators.dataflow", "operators.planning")
+MODULES: tuple[str, ...] = (
+    "operators.rules", "operators.corpus", "operators.scoring", "operators.retrieval", "operators.sampling", "operators.dataflow", "operators.planning", "operators.languages",
+)
 FLAGSHIP = "rule_composition"
 
 
