@@ -138,7 +138,10 @@ NET = "CASE WHEN len(list_filter(x, lambda l: lower(regexp_replace(l, '^\\s+|\\s
 TYPES = "list_filter(list_distinct(list_transform(string_split({}, E'\\n'), lambda l: upper(regexp_replace(l, '^\\s+', '')[1:1]))), lambda c: c <> '' AND contains('" + T.COMPONENTS + "', c))"
 QUERIES = {f.__name__: f for f in (gold_in_prediction, accuracy, extracted_programs, netlists, completions, plans, component_scores, program_bleu, pass_at_k, samples_per_task, format_compliance, rescue, report_matrix, bootstrap)}
 PASS = "CASE WHEN min(n) >= {k} THEN avg(CASE WHEN c = 0 THEN 0.0 WHEN n - c < {k} THEN 1.0 ELSE 1.0 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - {k}::DOUBLE / i)) END) END AS pass_{k}"
+SIDES = r"^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$"
 ORACLES = {
+    "extracted_programs": P + f""" SELECT pred_id, regexp_replace(CASE WHEN mode IN ('grammar', 'rag_cot_with_grammar') THEN coalesce(string_split(prediction, 'Program:')[-1], '') ELSE coalesce(prediction, '') END, '{SIDES}', '', 'g') AS program,
+CASE WHEN prediction IS NOT NULL THEN coalesce(list_filter(list_transform(string_split(prediction, E'\\n'), lambda l: regexp_replace(l, '{SIDES}', '', 'g')), lambda l: l <> '')[1], '') END AS first_line FROM p""",
     "gold_in_prediction": P + " SELECT pred_id, coalesce(contains(coalesce(prediction, ''), gold), false) AS hit FROM p",
     "accuracy": P + " SELECT run_id, count(*) AS n, avg(contains(coalesce(prediction, ''), gold)::INT) AS accuracy FROM p WHERE gold IS NOT NULL GROUP BY run_id",
     "netlists": P + f", q AS (SELECT pred_id, prediction, string_split(prediction, E'\\n') AS x FROM p WHERE dataset = 'spice' AND prediction IS NOT NULL) SELECT pred_id, {NET} AS netlist FROM q",
