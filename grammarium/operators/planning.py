@@ -11,13 +11,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import spread
+from ..functions import planner
 from .rules import examples
 
 NODES = 100_000
+#: Problems of each domain that are generated.
+WANTED = 20
 FACT = re.compile(r"\(([^()]+)\)")
 
 State = frozenset[tuple[str, ...]]
@@ -132,5 +135,42 @@ def planning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"plan_evaluation": plan_evaluation, "planning_summary": planning_summary}
+def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for key, domain, text, plan in zip(b["example_id"], b["domain"], b["problem_pddl"], b["program"]):
+            actions = planner.DOMAINS.get(domain)
+            task = planner.read(text, actions) if actions and text else None
+            if task is None:
+                rows.append((key, domain, "unreadable" if actions else "unsupported", None, None, None, None, None))
+                continue
+            f = planner.search(task, steps_of(plan), NODES)
+            rows.append((key, domain, "solved" if f.solved else "cut" if f.cut else "exhausted", f.plan_length, f.expanded, f.created, f.seed_valid, f.seed_total))
+        yield pd.DataFrame(rows, columns=["example_id", "domain", "status", "plan_length", "expanded", "created", "seed_valid", "seed_total"], dtype=object)
+
+
+SEARCHED = "example_id bigint, domain string, status string, plan_length int, expanded int, created int, seed_valid int, seed_total int"
+
+
+def plan_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches led by relaxed plans, seeded with the given one, in any of the domains: solved, exhausted, cut at NODES, unreadable, or unsupported for another domain."""
+    rows = spread(examples(spark, sf_dir).filter("domain is not null").select("example_id", "domain", "problem_pddl", "program"), "example_id")
+    return rows.mapInPandas(searched, SEARCHED)
+
+
+def generated_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each domain the WANTED problems of the least seeds that can be solved, out of a fixed range of them; degenerate ones are left out. Doesn't read any table."""
+    seeds = spark.range(2 * WANTED * len(planner.GENERATORS)).select((F.col("id") % (2 * WANTED)).alias("seed"), F.element_at(F.array(*map(F.lit, planner.GENERATORS)), (F.floor(F.col("id") / (2 * WANTED)) + 1).cast("int")).alias("domain"))
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [(d, s, planner.GENERATORS[d](3 + s % 3, s)) for d, s in zip(b["domain"], b["seed"])]
+            rows = [(d, s, t, planner.search(planner.read(t, planner.DOMAINS[d]), (), 2_000)) for d, s, t in made if t]
+            yield pd.DataFrame([(d, s, t, f.plan_length) for d, s, t, f in rows if f.solved], columns=["domain", "seed", "problem_pddl", "plan_length"])
+
+    solved = seeds.mapInPandas(make, "domain string, seed bigint, problem_pddl string, plan_length int")
+    return solved.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy("seed"))).filter(F.col("place") <= WANTED)
+
+
+QUERIES = {"plan_evaluation": plan_evaluation, "planning_summary": planning_summary, "plan_searches": plan_searches, "generated_problems": generated_problems}
 ORACLES: dict[str, str] = {}
