@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..oracle import one_per, rules_sql
 from .rules import examples, members
+from .sampling import by_digest
 
 TOP, LEAST_TEST_DF, MOST_TRAIN_DF = 20, 0.05, 0.15
 EPS = 1e-7
@@ -75,7 +76,7 @@ def balance_split(spark, sf_dir):
     problem = bad.join(imbalanced(spark, sf_dir), ["dataset", "name", "alt"]).select("example_id").distinct().withColumn("problem", F.lit(True))
     rows = e.drop("minimal_grammar").join(problem, "example_id", "left").withColumn("problem", F.coalesce("problem", F.lit(False)))
     need = rows.groupBy("dataset").agg(F.count_if((F.col("split") == "test") & F.col("problem")).alias("for_test"), F.count_if((F.col("split") == "valid") & F.col("problem")).alias("for_valid"))
-    clean = rows.filter("split = 'train' and not problem").select("example_id", F.row_number().over(Window.partitionBy("dataset").orderBy(F.md5(F.col("example_id").cast("string")), "example_id")).alias("k"))
+    clean = by_digest(rows.filter("split = 'train' and not problem").select("example_id", "dataset"), F.md5(F.col("example_id").cast("string"))).select("example_id", "k")
     moved = rows.join(need, "dataset").join(clean, "example_id", "left")
     new = F.when((F.col("split") != "train") & F.col("problem"), "train").when(F.col("k") <= F.col("for_test"), "test").when(F.col("k") <= F.col("for_test") + F.col("for_valid"), "valid").otherwise(F.col("split"))
     return moved.select("example_id", "dataset", "split", new.alias("new_split"))

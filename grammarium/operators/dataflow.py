@@ -6,13 +6,14 @@ asked once. Rows with one key count once.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table, unique
+from ..common import small_or_shuffled, table, unique
 from ..oracle import one_per
 from ..sources.files import latest_manifest
 from .scoring import predictions
@@ -27,7 +28,7 @@ def prompt_key(model, text):
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = unique(table(spark, sf_dir, "batch_runs").select("run_id", "model", "task_name"), "run_id")
-    return predictions(spark, sf_dir).join(F.broadcast(runs), "run_id").select("pred_id", "run_id", "model", "query", prompt_key(F.col("model"), F.coalesce("query", F.lit(""))).alias("key"), "prediction", "received_at")
+    return predictions(spark, sf_dir).join(small_or_shuffled(runs), "run_id").select("pred_id", "run_id", "model", "query", prompt_key(F.col("model"), F.coalesce("query", F.lit(""))).alias("key"), "prediction", "received_at")
 
 
 def prompt_keys(spark, sf_dir):
@@ -45,24 +46,30 @@ def cache_entries(spark, sf_dir):
 
 
 def uncached_requests(spark, sf_dir):
-    """Distinct prompts of half of the runs' answers that the other half hasn't cached."""
+    """Distinct prompts without an answer in the cache, which holds what was received up to the middle of the time that answers came in."""
     rows = requests(spark, sf_dir)
-    return rows.filter("pred_id % 2 = 0").select("key").distinct().join(rows.filter("pred_id % 2 = 1 and prediction is not null").select("key"), "key", "left_anti")
+    span = rows.agg(F.min(F.unix_micros(F.col("received_at").cast("timestamp"))).alias("low"), F.max(F.unix_micros(F.col("received_at").cast("timestamp"))).alias("high"))
+    cached = rows.filter("prediction is not null").join(F.broadcast(span), F.unix_micros(F.col("received_at").cast("timestamp")) * 2 <= F.col("low") + F.col("high")).select("key")  # one row of times
+    return rows.select("key").distinct().join(cached, "key", "left_anti")
 
 
-def answered(rows: DataFrame, cached: DataFrame, ask: Callable[[list[str]], list[str]], attempts: int = 5) -> DataFrame:
-    """rows(key, prompt, ...) with response: from the cache, else by `ask` on batches of distinct prompts; null after `attempts` failures."""
+def answered(rows: DataFrame, cached: DataFrame, ask: Callable[[list[str]], list[str]], attempts: int = 5, delay: float = 2.0, at_once: int = 20) -> DataFrame:
+    """rows(key, prompt, ...) with response: from the cache, else by `ask` on up to `at_once` distinct prompts; it is tried again after delay * 2^k seconds, then prompt by prompt, and null where even that fails. Tasks bound what is in flight: at_once each."""
+
+    def tried(prompts: list[str], times: int) -> list[str | None]:
+        for k in range(times):
+            try:
+                return list(ask(prompts))
+            except Exception:  # noqa: BLE001
+                if k < times - 1:
+                    time.sleep(delay * 2**k)
+        return [None] if len(prompts) == 1 else [tried([p], 1)[0] for p in prompts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(attempts):
-                try:
-                    b = b.assign(response=ask(b["prompt"].tolist()))
-                    break
-                except Exception:  # noqa: BLE001
-                    if k == attempts - 1:
-                        b = b.assign(response=None)
-            yield b[["key", "response"]]
+            prompts = b["prompt"].tolist()
+            answers = [r for i in range(0, len(prompts), at_once) for r in tried(prompts[i : i + at_once], attempts)]
+            yield pd.DataFrame({"key": b["key"], "response": pd.Series(answers, dtype=object)})
 
     new = rows.join(cached, "key", "left_anti").groupBy("key").agg(F.min("prompt").alias("prompt")).mapInPandas(run, "key string, response string")
     return rows.join(cached.select("key", "response").unionByName(new), "key", "left")
@@ -102,7 +109,7 @@ QUERIES = {f.__name__: f for f in (prompt_keys, cache_entries, uncached_requests
 ORACLES = {
     "prompt_keys": R + " SELECT pred_id, key FROM q",
     "cache_entries": R + " SELECT key, prediction AS response FROM q WHERE prediction IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY received_at, pred_id) = 1",
-    "uncached_requests": R + " SELECT DISTINCT key FROM q WHERE pred_id % 2 = 0 AND key NOT IN (SELECT key FROM q WHERE pred_id % 2 = 1 AND prediction IS NOT NULL)",
+    "uncached_requests": R + " SELECT DISTINCT key FROM q WHERE key NOT IN (SELECT key FROM q WHERE prediction IS NOT NULL AND epoch_us(received_at) * 2 <= (SELECT min(epoch_us(received_at)) + max(epoch_us(received_at)) FROM q))",
     "run_states": R + ", g AS (SELECT run_id, count(prediction) AS got FROM p GROUP BY run_id) SELECT r.run_id, coalesce(got, 0) AS collected, CASE WHEN len(list_filter(batches, lambda b: b.input_file_id IS NULL)) > 0 THEN 'failed' WHEN coalesce(got, 0) >= n_total THEN 'completed' ELSE 'in_progress' END AS state FROM r LEFT JOIN g USING (run_id)",
     "latest_runs": R + " SELECT task_name, run_id FROM r QUALIFY row_number() OVER (PARTITION BY task_name ORDER BY created_at DESC, run_id DESC) = 1",
 }

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..common import grammar_alternatives, table, unique
+from ..common import grammar_alternatives, small_or_shuffled, table, unique
 from ..oracle import one_per, rules_sql
 from .rules import examples, rules
 
@@ -56,7 +56,8 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = usable(spark, sf_dir)
     q = blocks(v.filter((F.col("split") != "train") & (F.col("vec_id") % EVERY == 0)), "q")
     t = blocks(v.filter("split = 'train'"), "t")
-    found = q.join(t, "dataset").select("q_ids", "q_raw", "t_ids", "t_raw").mapInPandas(top_of_blocks, "vec_id bigint, neighbour_id bigint, score double")
+    # train blocks stay where they are while the queries are few
+    found = t.join(small_or_shuffled(q), "dataset").select("q_ids", "q_raw", "t_ids", "t_raw").mapInPandas(top_of_blocks, "vec_id bigint, neighbour_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= K)
 

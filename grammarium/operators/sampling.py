@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import grammar_alternatives
@@ -12,16 +12,27 @@ from .rules import examples, rules
 VALID, TEST, SEED, DEMOS, RATIO, CORRUPT = 0.1, 0.1, 42, 4, 0.25, 0.2
 
 
-def by_hash(partition: str, key: str = "example_id", seed: int = SEED):
-    """Place of a row in its part, in the order of a seeded digest; digests are the same in other engines."""
-    return F.row_number().over(Window.partitionBy(partition).orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key))
+def by_digest(rows: DataFrame, digest, part: str = "dataset", key: str = "example_id") -> DataFrame:
+    """rows with k, the place of each in its part in the order of a digest in hex. Rows are counted by the digest's first four digits, the counts are cumulated, and only rows of one such bucket are ranked together, so no part passes one task."""
+    d, bucket = "_digest", F.substring("_digest", 1, 4).alias("_bucket")
+    placed = rows.withColumn(d, digest)
+    sizes = placed.groupBy(part, bucket).agg(F.count(F.lit(1)).alias("_n"))  # 65 536 for each part at most
+    before = F.sum("_n").over(Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(part, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_bucket", F.substring(d, 1, 4)).withColumn("k", F.row_number().over(Window.partitionBy(part, "_bucket").orderBy(d, key)))
+    return ranked.join(starts, [part, "_bucket"]).withColumn("k", (F.col("k") + F.col("_before")).cast("int")).drop(d, "_bucket", "_before")
+
+
+def seeded(key: str = "example_id", seed: int = SEED):
+    """A seeded digest of the key; digests are the same in other engines."""
+    return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def sized_split(spark, sf_dir):
     """A new split of each dataset with exact sizes: the whole part of n * TEST rows, then of n * VALID rows, the rest for training."""
     e = examples(spark, sf_dir).select("example_id", "dataset")
     n = e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    rows = e.withColumn("k", by_hash("dataset")).join(n, "dataset")
+    rows = by_digest(e, seeded()).join(n, "dataset")
     t, v = F.floor(F.col("n") * TEST), F.floor(F.col("n") * VALID)
     return rows.select("example_id", "dataset", F.when(F.col("k") <= t, "test").when(F.col("k") <= t + v, "valid").otherwise("train").alias("split"))
 
@@ -29,7 +40,7 @@ def sized_split(spark, sf_dir):
 def demonstrations(spark, sf_dir):
     """DEMOS train rows of each dataset, drawn without replacement."""
     e = examples(spark, sf_dir).filter("split = 'train'").select("example_id", "dataset")
-    return e.withColumn("k", by_hash("dataset")).filter(F.col("k") <= DEMOS)
+    return by_digest(e, seeded()).filter(F.col("k") <= DEMOS)
 
 
 def first_demonstrations(spark, sf_dir):
@@ -42,7 +53,7 @@ def mixed_prompts(spark, sf_dir):
     """Train rows of which a share of RATIO, rounded half to even, gets a prompt without grammar."""
     e = examples(spark, sf_dir).filter("split = 'train'").select("example_id", "dataset")
     n = e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
-    return e.withColumn("k", by_hash("dataset")).join(n, "dataset").select("example_id", "dataset", (F.col("k") > F.bround(F.col("n") * RATIO)).alias("with_grammar"))
+    return by_digest(e, seeded()).join(n, "dataset").select("example_id", "dataset", (F.col("k") > F.bround(F.col("n") * RATIO)).alias("with_grammar"))
 
 
 def doubled_prompts(spark, sf_dir):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table, unique
+from ..common import small_or_shuffled, table, unique
 from ..functions import text as T
 from ..oracle import one_per
 
@@ -102,7 +102,7 @@ def rescue(spark, sf_dir):
 def report_matrix(spark, sf_dir):
     """Accuracy by model and mode, a column for each mode; null where there are no rows."""
     runs = unique(table(spark, sf_dir, "batch_runs").select("run_id", "model"), "run_id")
-    rows = predictions(spark, sf_dir).select("run_id", "mode", F.coalesce("exact_match", F.lit(False)).cast("double").alias("ok")).join(F.broadcast(runs), "run_id")  # fixed at 48 runs
+    rows = predictions(spark, sf_dir).select("run_id", "mode", F.coalesce("exact_match", F.lit(False)).cast("double").alias("ok")).join(small_or_shuffled(runs), "run_id")
     return rows.groupBy("model").pivot("mode", ["cot", "grammar", "program_only", "rag_cot_with_grammar"]).agg(F.avg("ok"))
 
 

@@ -26,7 +26,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_problems(spark: SparkSession, path: str, key: str = "task_id") -> DataFrame:
     """JSON lines, one row per key; of several rows the last of the file wins."""
     rows = spark.read.json(path)
-    order = rows.select("*", F.monotonically_increasing_id().alias("_at"))  # rises along a file
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # by file, then along it
+    order = rows.select("*", at.alias("_at"))
     return order.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "_at").alias("r")).select("r.*")
 
 
