@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import let, small_or_shuffled, spread, table, unique, words
+from ..common import let, small_or_shuffled, table, unique, words
 
 SPAN, RUN, TOLERANCE = 10, 10, 0.8
 #: 1: the word is read; 0: it is ignored. Any window that is equal throughout meets under each mask.
@@ -29,7 +29,7 @@ MASKS = ("1111001111", "1100111011")
 
 
 def seeds(texts: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(key, place, seed) of texts(key, w): a row for each window and mask; a seed that a text repeats stands once, at its first place."""
+    """(key, place, seed) of texts(key, w): a row for each window and mask."""
     read = [[i for i, c in enumerate(m) if c == "1"] for m in masks]
     codes = F.transform("w", lambda x: F.xxhash64(x))
     windows = let(
@@ -80,7 +80,7 @@ def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, run, tolerant) of docs(doc_id, text) and items(item_id, item_text) whose windows meet under a mask."""
-    docs = spread(docs.select("doc_id", words(F.col("text")).alias("w")))
+    docs = docs.select("doc_id", words(F.col("text")).alias("w"))  # already spread by doc_id, as rows of one id were brought together
     items = items.select("item_id", words(F.col("item_text")).alias("w"))
     item_seeds = small_or_shuffled(seeds(items, "item_id").withColumnRenamed("place", "item_place"))
     hits = seeds(docs, "doc_id").join(item_seeds, "seed")
@@ -100,6 +100,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(*load(spark, sf_dir)).filter(F.col("run") >= RUN).select("doc_id", "item_id")
 
 
+def p8_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items that they hold passages of, with the longest run of equal words and the longest stretch with changed words; a stretch that holds no window that a mask reads may be missed."""
+    return leaks(*load(spark, sf_dir)).filter(F.col("tolerant") >= RUN)
+
+
 def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each test item with the documents that give it away, whole or with changed words, and its largest share of words found in one of them."""
     docs, items = load(spark, sf_dir)
@@ -112,7 +117,7 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+QUERIES = {"p8_found": p8_found, "p8_overlaps": p8_overlaps, "p8_leaked_items": p8_leaked_items}
 ORACLES = {
     "p8_found": """
 WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
