@@ -7,6 +7,7 @@ import importlib
 #: Modules that hold QUERIES and ORACLES.
 MODULES: tuple[str, ...] = (
     "operators.rules", "operators.corpus", "operators.scoring", "operators.retrieval", "operators.sampling", "operators.dataflow", "operators.planning", "operators.languages", "operators.alignments", "operators.texts", "operators.prompts", "operators.ingest",
+    "operators.labels",
 )
 FLAGSHIP = "rule_composition"
 

@@ -108,6 +108,47 @@ def write_envelope(df: DataFrame, path: str) -> None:
     rows.select(F.struct("pos", fields.alias("r")).alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("data")).coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Scores of rows: the ``results`` of one JSON document with their place as pos, or JSON lines, by the file's ending."""
+    if not path.endswith(".json"):
+        return read_lines(spark, path)
+    return spark.read.option("multiLine", True).json(path).select(F.posexplode("results").alias("pos", "row")).select("pos", "row.*")
+
+
+def write_results(metrics: DataFrame, rows: DataFrame, folder: str) -> None:
+    """Two tables: the metrics of a run and the scores of its rows."""
+    metrics.write.mode("overwrite").parquet(f"{folder}/metrics")
+    rows.write.mode("overwrite").parquet(f"{folder}/results")
+
+
+def read_report(spark: SparkSession, folder: str, metric: str) -> DataFrame:
+    """(model, name, value) of all result documents under folder/MODEL/NAME.json, the metric by its dotted path; null where a document lacks it."""
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    path = F.col("_metadata.file_path")
+    return texts.select(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("model"), F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("name"), F.get_json_object("value", f"$.{metric}").cast("double").alias("value"))
+
+
+def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """(task_id, description, simple_description); the simple one is null where the file has none."""
+    rows = read_lines(spark, path)
+    simple = F.col("simple_description") if "simple_description" in rows.columns else F.lit(None).cast("string")
+    return rows.select("task_id", F.col("detail_description").alias("description"), simple.alias("simple_description"))
+
+
+def append_cache(new: DataFrame, folder: str) -> None:
+    """Adds answers (key, response) to a cache of Parquet files; keys that are there already aren't added again."""
+    spark = new.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        new = new.join(spark.read.parquet(folder).select("key"), "key", "left_anti")
+    new.dropDuplicates(["key"]).write.mode("append").parquet(folder)
+
+
+def embedding_keys(rows: DataFrame, model: str) -> DataFrame:
+    """rows with the key of their vector: the model and a digest of each text by itself, so that no two splits share one by chance."""
+    return rows.withColumn("vector_key", F.concat_ws("-", F.lit(model), F.sha2(F.coalesce("query", F.lit("")), 256)))
+
+
 def latest_manifest(runs: DataFrame) -> DataFrame:
     """The newest manifest of each task, told by equal names; ties by the larger run_id."""
     rank = F.row_number().over(Window.partitionBy("task_name").orderBy(F.desc("created_at"), F.desc("run_id")))
