@@ -108,18 +108,20 @@ class Overlap:
         other = prints.filter("in_other").select("field", "print", F.col("class").alias("other_class"), F.col("place").alias("other_place"))
         hits = train.join(other, ["field", "print"])
         seed = F.struct("field", "other_place", "train_place")
+        self.hits = hits
         self.seeded = hits.groupBy("train_class", "other_class").agg(F.collect_set(seed).alias("seeds"))
 
-    def pairs(self) -> DataFrame:
-        """(train_class, other_class, seeds, query and program words of both, query_share, program_share)."""
+    def pairs(self, seeds: bool = True) -> DataFrame:
+        """(train_class, other_class, seeds, query and program words of both, query_share, program_share); without the seeds where these aren't asked for."""
         side = lambda name: self.classes.select(F.col("class").alias(f"{name}_class"), F.col("query_w").alias(f"{name}_query"), F.col("program_w").alias(f"{name}_program"))
-        both = self.seeded.join(side("train"), "train_class").join(side("other"), "other_class")
+        found = self.seeded if seeds else self.hits.select("train_class", "other_class").distinct()
+        both = found.join(side("train"), "train_class").join(side("other"), "other_class")
         for f in FIELDS:
             both = both.withColumn(f"{f}_share", share(F.array_distinct(f"train_{f}"), F.array_distinct(f"other_{f}")))
         return both
 
     def alike(self) -> DataFrame:
-        return self.pairs().filter((F.col("query_share") >= ALIKE) & (F.col("program_share") >= ALIKE)).select("train_class", "other_class")
+        return self.pairs(False).filter((F.col("query_share") >= ALIKE) & (F.col("program_share") >= ALIKE)).select("train_class", "other_class")
 
     def row_pairs(self) -> DataFrame:
         """(train_id, other_id) of all pairs of alike classes. Large classes are cut into blocks, each of which is expanded on its own."""
@@ -195,22 +197,32 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each valid and test row: the largest shares of its query's and its program's words that one train row's chain covers."""
-    found = Overlap(load(spark, sf_dir))
+    """For each valid and test row, with its split, dataset and source: the largest shares of its query's and its program's words that one train row's chain covers."""
+    examples = load(spark, sf_dir, "dataset", "source")
+    found = Overlap(examples)
     covered = found.pairs().select("other_class", "seeds", "other_query", "train_query", "other_program", "train_program").mapInPandas(coverage, "other_class bigint, query_covered double, program_covered double")
     best = covered.groupBy("other_class").agg(F.max("query_covered").alias("query_covered"), F.max("program_covered").alias("program_covered"), F.max(F.least("query_covered", "program_covered")).alias("both_covered"))
     rows = found.rows.filter("not train").select("example_id", F.col("class").alias("other_class"))
     none = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return rows.join(best, "other_class", "left").select("example_id", none("query_covered"), none("program_covered"), none("both_covered"))
+    parts = rows.join(best, "other_class", "left").select("example_id", none("query_covered"), none("program_covered"), none("both_covered"))
+    return parts.join(examples.select("example_id", "split", "dataset", "source"), "example_id")
+
+
+def p1_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split, dataset and source: rows, the mean share of words that train rows cover, and rows covered for the most part."""
+    return p1_coverage(spark, sf_dir).groupBy("split", "dataset", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("both_covered").alias("mean_covered"), F.count_if(F.col("both_covered") >= ALIKE).alias("mostly_covered"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split, dataset and source: rows, rows with a partner in train, and pairs."""
+    """Per split, dataset and source: rows, rows with a partner in train, and pairs, from the sizes of the classes."""
     rows = load(spark, sf_dir, "dataset", "source")
-    partners = Overlap(rows).row_pairs().groupBy(F.col("other_id").alias("example_id")).agg(F.count(F.lit(1)).alias("partners"))
+    found = Overlap(rows)
+    sizes = found.rows.filter("train").groupBy(F.col("class").alias("train_class")).agg(F.count(F.lit(1)).alias("n"))
+    partners = found.alike().join(sizes, "train_class").groupBy(F.col("other_class").alias("class")).agg(F.sum("n").alias("partners"))
+    of_row = found.rows.filter("not train").select("example_id", "class").join(partners, "class")
     return (
         rows.filter("split <> 'train'")
-        .join(partners, "example_id", "left")
+        .join(of_row.select("example_id", "partners"), "example_id", "left")
         .groupBy("split", "dataset", "source")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
     )
@@ -222,7 +234,7 @@ pairs AS (SELECT t.example_id AS t, o.example_id AS o FROM e t JOIN e o ON t.spl
  WHERE len(list_intersect(t.q, o.q)) >= 0.8 * (len(t.q) + len(o.q) - len(list_intersect(t.q, o.q))) AND len(list_intersect(t.p, o.p)) >= 0.8 * (len(t.p) + len(o.p) - len(list_intersect(t.p, o.p)))
  AND len(t.q) > 0 AND len(t.p) > 0)
 """
-QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p1_report": p1_report}
+QUERIES = {"p1_found": p1_found, "p1_coverage": p1_coverage, "p1_source_coverage": p1_source_coverage, "p1_report": p1_report}
 ORACLES = {
     "p1_found": PAIRS_SQL + "SELECT least(t, o) AS example_a, greatest(t, o) AS example_b FROM pairs",
     "p1_report": PAIRS_SQL + "SELECT split, dataset, source, count(*) AS n_rows, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM e LEFT JOIN (SELECT o AS example_id, count(*) AS n FROM pairs GROUP BY o) USING (example_id) WHERE split <> 'train' GROUP BY ALL",

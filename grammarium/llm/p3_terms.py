@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import grammar_alternatives, table, unique
+from ..common import checkpointed, grammar_alternatives, table, unique
 
 RARE_RECORDS, COMMON_SHARE = 2, 10
 
@@ -72,11 +72,11 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_counts(examples: DataFrame, partitions: int | None = None) -> DataFrame:
     """(field, term, occurrences, records, mark); mark is rare, common or null."""
-    spark = examples.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism * 2)
+    examples = checkpointed(examples.select("example_id", "minimal_grammar", "program"))  # read once for the bounds of the ranges, once for the sort, once for the totals
     rows = term_rows(examples)
     keys = ("field", "term", "record")
-    runs = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(scan_runs, "field string, term string, hits bigint, records bigint")
+    ranges = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    runs = ranges.sortWithinPartitions(*keys).mapInArrow(scan_runs, "field string, term string, hits bigint, records bigint")
     counts = runs.groupBy("field", "term").agg(F.sum("hits").alias("occurrences"), F.sum("records").alias("records"))
     totals = examples.agg(F.count("minimal_grammar").alias("minimal_grammar"), F.count("program").alias("program"))
     totals = totals.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in ("minimal_grammar", "program")])).alias("t")).select("t.*")

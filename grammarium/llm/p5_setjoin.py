@@ -136,6 +136,28 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("grammar_id", "set").join(sets.select("set", "set_id", "copies"), "set").join(degree, "set", "left").select("grammar_id", "set_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def similar_between(left: DataFrame, right: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """(a, b, share) of two tables (set, tokens) without repeats: all pairs of a set of `left` and one of `right` that are alike, equal ones too. Both are joined as one table, of which pairs within a side are left out."""
+    flag = lambda df, side: df.select("set", "tokens", F.lit(side == "l").alias("l"), F.lit(side == "r").alias("r"))
+    sets = checkpointed(flag(left, "l").union(flag(right, "r")).groupBy("set").agg(F.first("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")))
+    sides = lambda n: sets.select(F.col("set").alias(n), F.col("l").alias(f"{n}_l"), F.col("r").alias(f"{n}_r"))
+    found = similar_sets(sets.select("set", "tokens"), alike).join(sides("a"), "a").join(sides("b"), "b")
+    across = found.filter("a_l and b_r").select("a", "b", "share").union(found.filter("b_l and a_r").select("b", "a", "share"))
+    return across.union(sets.filter("l and r").select("set", "set", F.lit(1.0)))
+
+
+def p5_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of predicted grammars and sets of the examples' grammars that are alike, each named by its least id, with the share."""
+    mine = load(spark, sf_dir)
+    rows = unique(table(spark, sf_dir, "examples").select(F.col("example_id").alias("grammar_id"), "minimal_grammar"), "grammar_id")
+    other = checkpointed(grammar_sets(rows))
+    one = lambda df: checkpointed(df.groupBy("set").agg(F.first("tokens").alias("tokens"), F.min("grammar_id").alias("id")))
+    left, right = one(mine), one(other)
+    pairs = similar_between(left.select("set", "tokens"), right.select("set", "tokens"))
+    named = pairs.join(left.select(F.col("set").alias("a"), F.col("id").alias("grammar_id")), "a").join(right.select(F.col("set").alias("b"), F.col("id").alias("example_id")), "b")
+    return named.select("grammar_id", "example_id", F.round("share", 6).alias("share"))
+
+
 from .p3_terms import MEMBERS_SQL  # noqa: E402
 
 SETS_SQL = (
@@ -146,8 +168,16 @@ sets AS (SELECT id, list(DISTINCT name || E'\\n' || alt ORDER BY name || E'\\n'
 """
 )
 SHARE_SQL = "len(list_intersect(x.s, y.s)) >= 0.8 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))"
-QUERIES = {"p5_found": p5_found, "p5_links": p5_links}
+QUERIES = {"p5_found": p5_found, "p5_links": p5_links, "p5_between": p5_between}
 ORACLES = {
+    "p5_between": SETS_SQL.replace("sets AS", "gs AS")
+    + ", "
+    + MEMBERS_SQL.format(key="example_id", source="(SELECT DISTINCT ON (example_id) example_id, minimal_grammar FROM examples)").replace("lines AS", "l2 AS").replace("FROM lines", "FROM l2").replace("ruled AS", "r2 AS").replace("FROM ruled", "FROM r2").replace("latest AS", "t2 AS").replace("FROM latest", "FROM t2").replace("members AS", "m2 AS")
+    + """,
+es AS (SELECT id, list(DISTINCT name || E'\\n' || alt ORDER BY name || E'\\n' || alt) AS s FROM m2 GROUP BY id),
+x AS (SELECT min(id) AS id, s FROM gs GROUP BY s), y AS (SELECT min(id) AS id, s FROM es GROUP BY s)
+SELECT x.id AS grammar_id, y.id AS example_id, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) AS share FROM x JOIN y ON """
+    + SHARE_SQL,
     "p5_found": SETS_SQL + f"SELECT x.id AS grammar_a, y.id AS grammar_b FROM sets x JOIN sets y ON x.id < y.id AND {SHARE_SQL}",
     "p5_links": SETS_SQL
     + f""", c AS (SELECT s, min(id) AS set_id, count(*) AS copies FROM sets GROUP BY s),

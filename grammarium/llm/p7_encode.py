@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..common import spread, table, unique
 
 #: Characters of a chunk, and of what it shares with the next one.
-CHUNK, OVERLAP = 16_384, 1_024
+CHUNK, OVERLAP = 4_096, 512
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -76,8 +76,8 @@ def cut(batches: Iterator[pd.DataFrame], chunk: int, overlap: int) -> Iterator[p
         yield pd.DataFrame(rows, columns=["doc_id", "no", "start", "text", "chunks"])
 
 
-def encode_batches(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
-    bpe = encoder(path)
+def encode_batches(batches: Iterator[pd.DataFrame], path: str | None) -> Iterator[pd.DataFrame]:
+    bpe = encoder(vocabulary_path(path))  # where the task runs
     for batch in batches:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "no": batch["no"], "ids": [bpe.encode_ordinary(t) if t else [] for t in batch["text"]]})
 
@@ -94,9 +94,9 @@ def edges(batches: Iterator[pd.DataFrame], chunk: int, overlap: int) -> Iterator
         yield pd.DataFrame({"doc_id": batch["doc_id"], "no": batch["no"], "head": head, "tail": tail})
 
 
-def glue(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def glue(batches: Iterator[pd.DataFrame], path: str | None) -> Iterator[pd.DataFrame]:
     """Rebuilds and encodes a run of chunks: parts is an ordered list of (start, text)."""
-    bpe = encoder(path)
+    bpe = encoder(vocabulary_path(path))
     for batch in batches:
         out = []
         for parts, begin, end in zip(batch["parts"], batch["begin"], batch["end"]):
@@ -111,7 +111,6 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap
     """(doc_id, ids) of docs(doc_id, text)."""
     if chunk < 2 * overlap:
         raise ValueError("a chunk must be at least twice its overlap")
-    path = vocabulary_path(path)
     docs = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     # a text of one chunk has nothing to stitch
@@ -157,9 +156,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_source_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and texts of each source."""
     docs = unique(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
-    ids = encode(docs)
-    return ids.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("ids")).cast("bigint").alias("tokens"))
+    ids = encode(docs).select("doc_id", F.size("ids").alias("n"))
+    return ids.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").cast("bigint").alias("tokens"))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each document again, from its ids."""
+    docs = unique(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [decode(list(ids)) for ids in b["ids"]]})
+
+    return encode(docs).mapInPandas(read, "doc_id bigint, text string")
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_source_tokens": p7_source_tokens}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p7_ids": p7_ids, "p7_source_tokens": p7_source_tokens, "p7_decoded": p7_decoded}
+ORACLES = {"p7_decoded": "SELECT DISTINCT ON (doc_id) doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL"}
