@@ -152,11 +152,15 @@ def plain_alternative(alternative: Column) -> Column:
 
 def expanded_alternatives(alternative: Column, values: dict[str, list[str]]) -> Column:
     """The alternative with each terminal of `values`, outside quotes, replaced by each of its values; terminals in their order, all combinations."""
+
+    def replaced(terminal: str, options: list[str]):
+        outside = rf'\b{terminal}\b(?=(?:[^"]*"[^"]*")*[^"]*$)'
+        plain = [v.replace("\\", "\\\\").replace("$", r"\$") for v in options]
+        return lambda a: F.when(F.rlike(a, F.lit(outside)), F.array(*[F.regexp_replace(a, outside, v) for v in plain])).otherwise(F.array(a))
+
     found = F.array(alternative)
     for terminal, options in values.items():
-        outside = rf'\b{terminal}\b(?=(?:[^"]*"[^"]*")*[^"]*$)'
-        each = lambda a, outside=outside, options=options: F.when(F.rlike(a, F.lit(outside)), F.array(*[F.regexp_replace(a, outside, v.replace("\\", "\\\\").replace("$", r"\$")) for v in options])).otherwise(F.array(a))
-        found = F.flatten(F.transform(found, each))
+        found = F.flatten(F.transform(found, replaced(terminal, options)))
     return found
 
 

@@ -61,7 +61,7 @@ def write_corpus(rows: DataFrame, folder: str) -> tuple[int, int]:
     kept = checkpointed(rows)
     kept.filter("reason is null").drop("reason").write.mode("overwrite").parquet(f"{folder}/rows")
     kept.filter("reason is not null").withColumn("program", F.substring("program", 1, 500)).write.mode("overwrite").parquet(f"{folder}/failures")
-    n = kept.agg(F.count_if("reason is null"), F.count(F.lit(1))).first()
+    n = kept.agg(F.count_if(F.col("reason").isNull()), F.count(F.lit(1))).first()
     return n[0], n[1]
 
 
