@@ -90,6 +90,12 @@ def share(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def bits(words: Column) -> Column:
+    """64 bits that mark the words of an array: one of them for each."""
+    one = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(one(w)))
+
+
 class Overlap:
     """Classes of equal records, and the pairs of a train class and a class of another split that share fingerprints."""
 
@@ -101,20 +107,29 @@ class Overlap:
         # the class is named by 64 bits of its text's hash; two texts of one name would differ in `share` below only if the hash collided
         self.rows = checkpointed(rows.withColumn("class", F.xxhash64(text, F.lit(1))))
         firsts = self.rows.groupBy("class").agg(F.first("query_w").alias("query_w"), F.first("program_w").alias("program_w"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_other"))
+        for f in FIELDS:
+            w = F.array_distinct(f"{f}_w")
+            firsts = firsts.withColumn(f"{f}_n", F.size(w)).withColumn(f"{f}_bits", bits(w))
         self.classes = checkpointed(firsts)
         self.common = common_words(self.classes)
-        prints = checkpointed(fingerprints(spread(self.classes, "class"), self.common).join(self.classes.select("class", "in_train", "in_other"), "class"))
-        train = prints.filter("in_train").select("field", "print", F.col("class").alias("train_class"), F.col("place").alias("train_place"))
-        other = prints.filter("in_other").select("field", "print", F.col("class").alias("other_class"), F.col("place").alias("other_place"))
-        hits = train.join(other, ["field", "print"])
+        marks = [f"{f}_{m}" for f in FIELDS for m in ("n", "bits")]
+        prints = checkpointed(fingerprints(spread(self.classes, "class"), self.common).join(self.classes.select("class", "in_train", "in_other", *marks), "class"))
+        side = lambda name: prints.filter(f"in_{name}").select("field", "print", F.col("class").alias(f"{name}_class"), F.col("place").alias(f"{name}_place"), *[F.col(m).alias(f"{name}_{m}") for m in marks])
+        hits = side("train").join(side("other"), ["field", "print"])
         seed = F.struct("field", "other_place", "train_place")
         self.hits = hits
         self.seeded = hits.groupBy("train_class", "other_class").agg(F.collect_set(seed).alias("seeds"))
 
+    def near(self) -> DataFrame:
+        """Hits of pairs that may be alike: two sets of a and b words that share 0.8 of all differ in (a + b) / 9 words at most, so their marks differ in no more bits."""
+        most = (1 - ALIKE) / (1 + ALIKE)
+        fits = lambda f: F.bit_count(F.col(f"train_{f}_bits").bitwiseXOR(F.col(f"other_{f}_bits"))) <= (F.col(f"train_{f}_n") + F.col(f"other_{f}_n")) * most + 1e-9
+        return self.hits.filter(fits("query") & fits("program"))
+
     def pairs(self, seeds: bool = True) -> DataFrame:
         """(train_class, other_class, seeds, query and program words of both, query_share, program_share); without the seeds where these aren't asked for."""
         side = lambda name: self.classes.select(F.col("class").alias(f"{name}_class"), F.col("query_w").alias(f"{name}_query"), F.col("program_w").alias(f"{name}_program"))
-        found = self.seeded if seeds else self.hits.select("train_class", "other_class").distinct()
+        found = self.seeded if seeds else self.near().select("train_class", "other_class").distinct()
         both = found.join(side("train"), "train_class").join(side("other"), "other_class")
         for f in FIELDS:
             both = both.withColumn(f"{f}_share", share(F.array_distinct(f"train_{f}"), F.array_distinct(f"other_{f}")))

@@ -63,6 +63,23 @@ def test_p1_grams_and_chain():
     assert p1_overlap.extend("a b c x d e".split(), "a b c y d e".split(), [(0, 0)]) == 5
 
 
+def test_p1_near_copies(spark):
+    """Pairs of edited copies against brute force; the marks on candidates drop none."""
+    rng = np.random.default_rng(7)
+    base = [([f"q{rng.integers(300)}" for _ in range(14)], [f"p{rng.integers(300)}" for _ in range(18)]) for _ in range(20)]
+    rows = []
+    for i in range(160):
+        q, p = (list(x) for x in base[i % 20])
+        for w in (q, p):
+            for _ in range(rng.integers(0, 3)):
+                w[rng.integers(len(w))] = f"z{rng.integers(40)}"
+        rows.append((i, "train" if rng.random() < 0.6 else "test", " ".join(q), " ".join(p)))
+    alike = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.8 * len(set(a.split()) | set(b.split()))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "train" and b[1] == "test" and alike(a[2], b[2]) and alike(a[3], b[3])}
+    got = [(r.train_id, r.other_id) for r in p1_overlap.Overlap(spark.createDataFrame(rows, "example_id bigint, split string, query string, program string")).row_pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
 def test_p1_copies_expand(spark):
     rows = [(i, "train" if i < 40 else "test", "one two three four", "five six") for i in range(60)] + [(99, "test", None, "five six")]
     df = spark.createDataFrame(rows, "example_id bigint, split string, query string, program string")
