@@ -77,7 +77,7 @@ def test_p1_near_copies(spark):
     alike = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.8 * len(set(a.split()) | set(b.split()))
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] == "train" and b[1] == "test" and alike(a[2], b[2]) and alike(a[3], b[3])}
     got = [(r.train_id, r.other_id) for r in p1_overlap.Overlap(spark.createDataFrame(rows, "example_id bigint, split string, query string, program string")).row_pairs().collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
 
 
 def test_p1_copies_expand(spark):
@@ -270,9 +270,22 @@ def test_p9_held_out(spark):
     assert len(got) and (abs(got["level"] - got["reading_level"]) <= 1).mean() > 0.9 and (got["level"] == got["reading_level"]).mean() > 0.7
 
 
-def test_p9_sentences():
+def test_p9_sentences(spark):
+    """Headings, code and footers are left out; sentences of another language stay, but their words aren't ranked (next test)."""
     text = "# Zla notes\n\nThe box holds a map.\n```\na ::= b\n```\n    R1 a 0 1k\nDer Hund läuft durch den Wald und bellt.\nEach tool helps this team!\n-- \nfooter"
-    assert p9_levels.sentences(text) == ["The box holds a map.", "Each tool helps this team!"]
+    df = spark.createDataFrame([(1, text), (2, "x = 1; y"), (3, "")], "doc_id bigint, text string")
+    got = {r.doc_id: [" ".join(x["w"]) for x in r.s] for r in df.select("doc_id", p9_levels.sentences(F.col("text")).alias("s")).collect()}
+    assert [s.split()[0] for s in got[1]] == ["The", "Der", "Each"] and got[2] == ["x y"] and got[3] == []
+
+
+def test_p9_vocabulary(spark):
+    """Words by frequency, ties on the least rank; words that other languages use relatively more have none."""
+    rows = [(i, "the box holds the map", "en") for i in range(30)] + [(100 + i, "der hund holds der map", "de") for i in range(3)] + [(200, "der box", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    ranks = {r.word: round(2**r.rank) for r in p9_levels.vocabulary(p9_levels.prose(df)).collect()}
+    assert ranks == {"the": 1, "box": 2}
+    features = p9_levels.profile(p9_levels.prose(df.withColumn("text", F.repeat(F.concat("text", F.lit(". ")), 12)))).first()["f"]
+    assert len(features) == len(p9_levels.FEATURES)
 
 
 def test_core_stands_alone():
