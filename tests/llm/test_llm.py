@@ -1,6 +1,9 @@
 """Operators on training data: against SQL, brute force, round trips, and on odd tables."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +300,46 @@ def test_core_stands_alone():
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"^\s*(from|import) .*\bllm\b", p.read_text(), re.M)]
 
 
+def test_p6_memory_of_workers():
+    """What a worker holds doesn't grow with lists, queries or weak bars: 16 384 isolated vectors, whose queries read nearly all lists, and postings whose nearest list is never read."""
+    rng = np.random.default_rng(5)
+    x = p6_neighbours.unit(rng.normal(size=(16_384, 64))).astype(np.float32)
+    centroids = p6_neighbours.Centroids(x, 10**9)
+    batch = pd.DataFrame({"class": np.arange(4_000), "vector": list(x[:4_000]), "ids": [np.array([i]) for i in range(4_000)]})
+    lists = len(centroids.at)
+    tasks = p6_neighbours.Tasks(np.full(lists, 4_000))
+
+    def largest(frames):
+        """Of frames that aren't kept: rows, the most numbers of one, and the peak in MB."""
+        tracemalloc.start()
+        rows, most = 0, 0
+        for f in frames:
+            rows, most = rows + len(f), max(most, sum(f[c].map(lambda v: 0 if v is None else len(v)).sum() for c in ("ids", "posts", "probes")) + 64 * len(f))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return rows, most, peak
+
+    rows, most, peak = largest(p6_neighbours.route(iter([batch]), centroids))
+    assert rows >= 4_000 and most < 2 << 20 and peak < 150
+    routed = pd.concat(list(p6_neighbours.route(iter([batch[:300]]), centroids)))
+    assert routed["probes"].map(len).max() <= 2_048
+    assert sorted(routed[routed["posts"].map(len) > 0]["class"]) == list(range(300))  # posted once
+    read = routed.groupby("class")["probes"].apply(lambda v: np.concatenate(list(v)))
+    assert read.map(len).max() > 0.5 * lists and all(len(np.unique(r)) == len(r) for r in read)
+    rows, most, peak = largest(tasks.send(iter([routed])))
+    assert rows > 50_000 and most < 2 << 20 and peak < 150
+
+    p, q = x[:6_000].astype(np.float64), x[6_000:12_000].astype(np.float64)
+    holds = [np.array([1_000, i % 100], np.int32) for i in range(len(p))]
+    tracemalloc.start()
+    qi, pi = p6_neighbours.best(q, p, holds, [np.arange(100, dtype=np.int32)] * len(q), 16)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 300
+    for row in range(0, len(q), 500):
+        assert set(np.argsort(-(p @ q[row]))[:16]) <= set(pi[qi == row])
+
+
 def test_p6_ties_of_scaled_copies(spark):
     """More vectors of one direction than a query keeps: the smaller ids come out."""
     rng = np.random.default_rng(4)
