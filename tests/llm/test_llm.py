@@ -156,6 +156,46 @@ def test_p2_clusters(spark):
     assert len(got) == len(names) and len(got & want) >= 0.98 * len(want)
 
 
+def test_p2_clusters_exact(spark, monkeypatch):
+    """Chains in which only next neighbours are alike, ends that differ, short openings at the bound, many that are all alike and pairs among many that nearly are: every component is that of brute force, and those all alike don't give all their pairs."""
+    monkeypatch.setattr(p2_defects, "BLOCK", 50, raising=False)
+    rng = np.random.default_rng(8)
+    texts = {"", "a b", "a b c d e", "a b c d e f g h", "a b c d e f g h i", "b c d e f g h i", "x a b c d e f g h"}
+    for _ in range(120):
+        long = [f"w{rng.integers(40_000)}" for _ in range(34)]
+        texts |= {" ".join(long[i : i + 24]) for i in range(0, 11, 2)}
+    same = [f"v{i}" for i in range(24)]
+    texts |= {" ".join([*same, f"z{i}"]) for i in range(300)}
+    texts |= {" ".join([f"y{i}", *same]) for i in range(300)}
+    head = [f"u{i}" for i in range(59)]  # 55 shingles that all have, and 7 that two have
+    for i in range(200):
+        one = [*head, *[f"t{rng.integers(40_000)}" for _ in range(7)]]
+        texts |= {" ".join(one), " ".join([*one, f"s{i}"])}
+    names = sorted(texts)
+    sets = [p2_defects.shingles(t) for t in names]
+    top = list(range(len(names)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    by = {}
+    for i, x in enumerate(sets):
+        for w in x:
+            by.setdefault(w, []).append(i)
+    for j, i in {(j, i) for v in by.values() for i in v for j in v if j < i}:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            top[b] = a
+    df = spark.createDataFrame([(t,) for t in names], "opening string")
+    got = {(r.opening, r.head) for r in p2_defects.clusters(df).collect()}
+    assert got == {(t, names[root(i)]) for i, t in enumerate(names)}
+    found = [(r.a, r.b) for r in p2_defects.links(df).collect()]
+    assert len(found) < 10 * len(names)
+    assert all(len(x & y) >= 0.8 * len(x | y) for x, y in ((p2_defects.shingles(a), p2_defects.shingles(b)) for a, b in found))
+
+
 def test_p2_refusals(spark):
     """A template that recurs over prompts, and an answer without a program that nothing is known of."""
     rows = [(i, "cot", f"list all cities near zla{i}", "Nada hoy por aquí, vuelva usted mañana con otra cosa distinta si quiere", "answer(all)", "The value a is matched as a plain string.") for i in range(8)]
